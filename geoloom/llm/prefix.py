@@ -1,0 +1,25 @@
+"""Running totals over tables of any size: per-bucket sums first, so that no window spans a whole hot key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], weight: str, out: str, buckets: int = 1024) -> DataFrame:
+    """Add `out`, the total of `weight` over the rows before this one within `keys`, in order of bucket, then `order`.
+
+    `bucket` must be an int in [0, buckets). The offsets are a window over at most keys x buckets rows; the rows
+    themselves are only ever sorted within one bucket of one key.
+    """
+    df = df.withColumn("__bucket", bucket)
+    sums = df.groupBy(*keys, "__bucket").agg(F.sum(weight).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.__bucket") == F.col("b.__bucket")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    j = df.alias("a").join(sums.alias("b"), cond).select("a.*", "b.__offset")
+    within = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return j.withColumn(out, F.col("__offset") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("__bucket", "__offset")
