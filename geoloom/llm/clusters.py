@@ -234,8 +234,8 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
         m = np.nonzero(hub == h)[0]
         uf.parent[m] = m[0]
     leaders, owner = [], np.full(n, -1)
-    for a in range(0, n, 1024):
-        rows = np.arange(a, min(n, a + 1024))
+    for a in range(0, n, 512):
+        rows = np.arange(a, min(n, a + 512))
         if leaders:
             s = x[rows] @ x[leaders].T
             best = s.argmax(axis=1)
@@ -261,9 +261,10 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
     reach = np.cos(np.minimum(np.pi, np.arccos(t) + radius + 1e-3)).astype(np.float32)  # per leader: less can't link
     order = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[order], np.arange(len(leaders) + 1))
-    doubtful = []
-    for a in range(0, n, 2048):
-        rows = np.arange(a, min(n, a + 2048))
+    doubtful = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = int(max(64, min(2048, 8_000_000 // len(leaders))))  # bounds the matrix in memory
+    for a in range(0, n, step):
+        rows = np.arange(a, min(n, a + step))
         s = x[rows] @ x[leaders].T
         r, c = np.nonzero(s >= reach[None, :])
         r = rows[r]
@@ -295,13 +296,14 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
 
 def linked_groups(
     df: DataFrame, similarity: float = 0.85, min_size: int = 8, dim: int = 64, id_col: str = "id", vector: str = "embedding",
-    leaves: int = 1024, rows_per_cluster: int = 2000, max_clusters: int = 4096, margin: float = 0.12, block: int = 30000,
+    leaves: int = 1024, rows_per_cluster: int = 8000, max_clusters: int = 4096, margin: float = 0.06, block: int = 131_072,
 ) -> DataFrame:
     """(id, group_id, group_size): groups of at least `min_size` usable rows that links of `similarity` or more connect.
 
     The clusters of the feature trees are where links are looked for: a row goes to its nearest cluster and to those
-    whose centroid is at most `margin` farther, so linked rows meet in a cluster (linked unit vectors differ by at most
-    sqrt(2 - 2 similarity), of which a share of about 1/sqrt(dim) lies along the line between two centroids). Within a
+    whose centroid is at most `margin` farther. Linked rows miss each other only if the line between them leans more
+    than 2 margin along the line between their centroids; linked unit vectors differ by at most sqrt(2 - 2 similarity),
+    of which a share of about 1/sqrt(dim) lies along any one line, and a group is held together by many links. Within a
     cluster links are found exactly. Rows close to a heavy leaf's mean (half the linking angle) are linked with one
     another for sure; they are one vertex, never compared among themselves. Clusters beyond `block` rows are tiled;
     tiles of one heavy leaf meet only the other rows. Groups that reach over clusters are joined through shared rows.
