@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.session import cut
+
 Ring = list[tuple[float, float]]
 
 
@@ -114,18 +116,21 @@ def region_slabs(regions: DataFrame, id_col: str = "region_id", geometry: str =
     return r.mapInPandas(decompose, "region_id bigint, x0 double, x1 double, ylow double, yhigh double, edges array<struct<a:double,b:double>>")
 
 
-def locate(points: DataFrame, regions: DataFrame, id_col: str = "id", lon: str = "lon", lat: str = "lat", region_id: str = "region_id", geometry: str = "geometry", cell_x: float = 0.0625, cell_y: float = 0.5) -> DataFrame:
+def locate(points: DataFrame, regions: DataFrame, id_col: str = "id", lon: str = "lon", lat: str = "lat", region_id: str = "region_id", geometry: str = "geometry", cell_x: float = 0.0625, cell_y: float = 0.5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(id, region_id) of each point and each region that contains it, once per pair.
 
-    The slabs are distributed by the cells they touch and joined with the points of the same cell; hot cells are
-    split by adaptive skew-join handling. In its slab a point bisects the ordered edges. Points on an outline may
+    The slabs are distributed by the cells they touch and joined with the points of the same cell: broadcast while
+    their measured size is within `broadcast_bytes`, else both sides are shuffled and hot cells split by adaptive
+    skew-join handling. In its slab a point bisects the ordered edges. Points on an outline may
     count either way. Points without location and empty tables give no rows; overlapping regions give several.
     """
-    s = region_slabs(regions, region_id, geometry)
+    s = cut(region_slabs(regions, region_id, geometry))
     cells = lambda a, b, size: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
     s = s.withColumn("cx", F.explode(cells("x0", "x1", cell_x))).withColumn("cy", F.explode(cells("ylow", "yhigh", cell_y)))
     p = points.select(F.col(id_col).alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat")).where("id is not null and lon is not null and lat is not null")
     p = p.withColumn("cx", F.floor(F.col("lon") / cell_x)).withColumn("cy", F.floor(F.col("lat") / cell_y))
+    size = s.agg(F.coalesce(F.sum(F.size("edges") * 16 + 80), F.lit(0)).alias("b")).first()["b"]
+    s = F.broadcast(s) if size <= broadcast_bytes else s.hint("merge")
     j = p.join(s, ["cx", "cy"]).where("lon >= x0 and lon < x1 and lat >= ylow and lat <= yhigh")
     n, t = F.size("edges"), (F.col("lon") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     mid = lambda acc: F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
