@@ -23,7 +23,7 @@ def sized_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY)
 
 
 def mix_plan(sized: DataFrame, mix: DataFrame, tilt: float = 0.5) -> DataFrame:
-    """One row per mix and source: demand, capacity, granted tokens, repeats, shortfall and the schedule's slope.
+    """One row per mix and source: demand, capacity, granted tokens, repeats and the schedule's slope.
 
     demand = target_share x total_ratio x size of all documents, capacity = max_repeats x size of the source's
     documents, granted = the smaller. The schedule of a source is share x (1 + slope (2t - 1)): slopes run from +tilt
@@ -44,8 +44,7 @@ def mix_plan(sized: DataFrame, mix: DataFrame, tilt: float = 0.5) -> DataFrame:
     centre = F.sum(F.col("__raw") * F.col("target_share")).over(per_mix) / F.col("__w")
     slope = F.when(F.col("__w") > 0, F.greatest(F.lit(-0.99), F.least(F.lit(0.99), F.col("__raw") - centre))).otherwise(F.lit(0.0))
     p = p.withColumn("slope", slope).withColumn("repeats", F.when(F.col("source_tokens") > 0, F.col("granted") / F.col("source_tokens")).otherwise(F.lit(0.0)))
-    p = p.withColumn("short", F.col("capacity") < F.col("demand"))
-    return p.select("mix_id", "source", F.col("__s").alias("source_key"), "target_share", "total_ratio", "max_repeats", "all_tokens", "source_tokens", "demand", "capacity", "granted", "repeats", "slope", "short")
+    return p.select("mix_id", "source", F.col("__s").alias("source_key"), "target_share", "total_ratio", "max_repeats", "all_tokens", "source_tokens", "demand", "capacity", "granted", "repeats", "slope")
 
 
 def mixed_documents(sized: DataFrame, plan: DataFrame, seed: int = 5, buckets: int = 1024, ordered: bool = True) -> DataFrame:
@@ -72,9 +71,13 @@ def mixed_documents(sized: DataFrame, plan: DataFrame, seed: int = 5, buckets: i
 
 
 def mix_report(sized: DataFrame, mix: DataFrame) -> DataFrame:
-    """Per mix and source: repeats, actual tokens and share of the mixed documents, and whether it falls short."""
+    """Per mix and source: repeats, actual tokens and share of the mixed documents, and whether it falls short.
+
+    short: the source's documents in the mix, repeats included, have fewer tokens than its demand. As a document enters
+    if it starts below what is granted, that is so exactly where max_repeats x size is below the demand.
+    """
     plan = cut(mix_plan(sized, mix))
     got = mixed_documents(sized, plan, ordered=False).groupBy("mix_id", "source").agg(F.sum("tokens").alias("actual_tokens"), F.count("*").alias("documents"), F.max("epoch").alias("last_epoch"))
     r = plan.join(got, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
     share = F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy("mix_id"))
-    return r.select("mix_id", "source", "target_share", "max_repeats", "demand", "capacity", "repeats", F.coalesce("documents", F.lit(0)).alias("documents"), "actual_tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), "short")
+    return r.select("mix_id", "source", "target_share", "max_repeats", "demand", "capacity", "repeats", F.coalesce("documents", F.lit(0)).alias("documents"), "actual_tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), (F.col("actual_tokens") < F.col("demand")).alias("short"))

@@ -91,3 +91,11 @@ def sample_plans(labeled: DataFrame, target_mix: DataFrame, seed: int = 17) -> D
     draw = F.row_number().over(Window.partitionBy("plan_id").orderBy("key", "feature_id"))
     kept = kept.withColumn("drawn", F.when(draw <= F.col("sample_size"), F.lit("weighted")).otherwise(F.lit("repair")))
     return kept.select("plan_id", "feature_id", "id", "class", "source", "label", "drawn", "weight")
+
+
+def sample_report(labeled: DataFrame, target_mix: DataFrame, seed: int = 17) -> DataFrame:
+    """Every plan and class with target_rows, wanted_rows, the rows its sample has, their share and the gap left."""
+    drawn = sample_plans(labeled, target_mix, seed).groupBy("plan_id", "class").agg(F.count("*").alias("sampled"))
+    r = plan_targets(target_mix).join(drawn, ["plan_id", "class"], "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)).cast("bigint"))
+    total = F.sum("sampled").over(Window.partitionBy("plan_id"))
+    return r.withColumn("actual_share", F.col("sampled") / F.greatest(total, F.lit(1))).withColumn("gap", F.col("wanted_rows") - F.col("sampled"))

@@ -18,7 +18,7 @@ def p1_varied_subset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    r = proportions.plan_report(table(spark, sf, "labeled"), table(spark, sf, "target_mix"))
+    r = proportions.sample_report(table(spark, sf, "labeled"), table(spark, sf, "target_mix"))
     return r.where("gap > 0").select("plan_id", F.col("class"))
 
 

@@ -124,23 +124,26 @@ def varied_subset(
     """(id, kind, texture, quota, rank): `size` rows (or all usable rows, if fewer) that span the vectors' categories.
 
     kind is the nearest of `kinds` centroids, texture the nearest of `textures` centroids of what the kind leaves over;
-    both are trained on the `sample` rows with the smallest hash (the only bounded read; every row is categorised and
-    counted). Within a combination rows are ranked by their turn within a hash bucket of near-identical vectors first,
+    both are trained on the rows whose hash is below a bound that about `sample` rows meet (the only bounded read;
+    every row is categorised and counted). Within a combination rows are ranked by their turn within a hash bucket of near-identical vectors first,
     then by a hash of the id: each of many copies waits until every bucket has given a row. Unusable vectors and null
     ids take no part; repeated ids may be chosen once per row; an empty table gives no rows.
     """
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"))
 
+    n = df.count()
+    below = np.uint64(min(1.0, sample / max(n, 1)) * (1 << 63))
+
     def usable(batches):
         for b in batches:
             ids, x = unit_rows(b.column(0), b.column(1), dim)
             if len(ids):
                 h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) ^ np.uint64(0x5851F42D4C957F2D)
                 h = ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(1)
-                keep = np.argsort(h, kind="stable")[:sample]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(ids[keep]), pa.array(list(x[keep]), pa.list_(pa.float32()))], names=["h", "id", "x"])
+                x, h, ids = x[h <= below], h[h <= below], ids[h <= below]
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(ids), pa.array(list(x), pa.list_(pa.float32()))], names=["h", "id", "x"])
 
-    rows = src.mapInArrow(usable, "h bigint, id bigint, x array<float>").orderBy("h", "id").limit(sample).select("x").toPandas()["x"]
+    rows = src.mapInArrow(usable, "h bigint, id bigint, x array<float>").toPandas().sort_values(["h", "id"])["x"]
     if not len(rows):
         return df.sparkSession.createDataFrame([], "id bigint, kind int, texture int, quota bigint, rank int")
     x = np.stack(rows.to_numpy()).astype(np.float32)
