@@ -57,8 +57,8 @@ def human_size(n: Column) -> Column:
     out = F.when(n.isNull(), F.lit("unknown"))
     d = n.cast("double")
     for i, unit in enumerate(("B", "KB", "MB", "GB")):
-        out = out.when(d < 1024.0 ** (i + 1), F.concat(F.format_string("%.1f", d / 1024.0**i), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.format_string("%.1f", d / 1024.0**4), F.lit(" TB")))
+        out = out.when(d < 1024.0 ** (i + 1), F.concat(F.format_string("%.1f", F.bround(d / 1024.0**i, 1)), F.lit(" " + unit)))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(d / 1024.0**4, 1)), F.lit(" TB")))
 
 
 def region_key(c: Column) -> Column:
