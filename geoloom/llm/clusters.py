@@ -229,7 +229,7 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
     linked to a leader join its component; pairs that only other members can link are compared exactly, but only where
     the angles allow a link and the components still differ.
     """
-    n, uf = len(x), UnionFind(len(x))
+    n, uf, tight = len(x), UnionFind(len(x)), max(tight, float(t))
     for h in np.unique(hub[hub >= 0]):
         m = np.nonzero(hub == h)[0]
         uf.parent[m] = m[0]

@@ -79,5 +79,5 @@ def mix_report(sized: DataFrame, mix: DataFrame) -> DataFrame:
     plan = cut(mix_plan(sized, mix))
     got = mixed_documents(sized, plan, ordered=False).groupBy("mix_id", "source").agg(F.sum("tokens").alias("actual_tokens"), F.count("*").alias("documents"), F.max("epoch").alias("last_epoch"))
     r = plan.join(got, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)))
-    share = F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy("mix_id"))
+    share = F.try_divide("actual_tokens", F.sum("actual_tokens").over(Window.partitionBy("mix_id")))
     return r.select("mix_id", "source", "target_share", "max_repeats", "demand", "capacity", "repeats", F.coalesce("documents", F.lit(0)).alias("documents"), "actual_tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), (F.col("actual_tokens") < F.col("demand")).alias("short"))

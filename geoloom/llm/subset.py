@@ -80,15 +80,15 @@ def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, float]], source: i
     return [cap[2 * i + 1] for i in range(len(arcs))], sent
 
 
-def _convex(u: int, v: int, target: float, most: int, weight: float, steps: int = 4) -> list[tuple[int, int, int, float]]:
+def _convex(u: int, v: int, target: float, most: int, weight: float) -> list[tuple[int, int, int, float]]:
     """Arcs whose cost is 0 up to the target and grows with every further stretch: convex overuse."""
     first = min(most, max(1, round(target)))
-    out, left, stretch, price = [(u, v, first, 0.0)], most - first, max(1, round(target)), weight
-    for i in range(steps):
-        take = left if i == steps - 1 else min(left, stretch)
+    out, left = [(u, v, first, 0.0)], most - first
+    for share, price in ((0.125, 1), (0.125, 2), (0.25, 3), (0.5, 5), (1, 9), (2, 17), (None, 33)):
+        take = left if share is None else min(left, max(1, round(target * share)))
         if take > 0:
-            out.append((u, v, take, price))
-        left, stretch, price = left - take, stretch * 2, price * 3
+            out.append((u, v, take, weight * price))
+            left -= take
     return out
 
 
