@@ -261,36 +261,63 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
     reach = np.cos(np.minimum(np.pi, np.arccos(t) + radius + 1e-3)).astype(np.float32)  # per leader: less can't link
     order = np.argsort(owner, kind="stable")
     start = np.searchsorted(owner[order], np.arange(len(leaders) + 1))
-    doubtful = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    step = int(max(64, min(2048, 8_000_000 // len(leaders))))  # bounds the matrix in memory
-    for a in range(0, n, step):
-        rows = np.arange(a, min(n, a + step))
-        s = x[rows] @ x[leaders].T
-        r, c = np.nonzero(s >= reach[None, :])
-        r = rows[r]
-        sure = s[r - a, c] >= t
-        roots = uf.roots()
-        d = np.nonzero(sure & (roots[r] != roots[leaders[c]]))[0]
-        for i in d:
-            uf.union(int(r[i]), int(leaders[c[i]]))
-        doubtful.append((r[~sure], c[~sure]))
-    r, c = np.concatenate([q[0] for q in doubtful]), np.concatenate([q[1] for q in doubtful])
-    o = np.argsort(c, kind="stable")
-    r, c = r[o], c[o]
-    for leader in np.unique(c):
-        members = order[start[leader] : start[leader + 1]]
-        if len(members) == 1:
-            continue  # the leader itself, compared above
-        roots = uf.roots()
-        asks = r[np.searchsorted(c, leader) : np.searchsorted(c, leader, side="right")]
-        asks = asks[roots[asks] != roots[members[0]]]
-        for a in range(0, len(asks), 4096):
-            for b in range(0, len(members), 8192):
-                i, j = np.nonzero(x[asks[a : a + 4096]] @ x[members[b : b + 8192]].T >= t)
-                if len(i):
-                    _, firsts = np.unique(uf.roots()[asks[a : a + 4096][i]], return_index=True)
-                    for f in firsts:
-                        uf.union(int(asks[a : a + 4096][i[f]]), int(members[b : b + 8192][j[f]]))
+    step = lambda width: int(max(64, min(2048, 8_000_000 // max(width, 1))))  # bounds a matrix in memory
+
+    def meet(rows: np.ndarray, heads: np.ndarray, exact: bool) -> None:
+        """Union rows with the leaders (by number) they link to; if `exact`, also through the leaders' members."""
+        pending, size = [], 0
+        for a in range(0, len(rows), step(len(heads))):
+            part = rows[a : a + step(len(heads))]
+            s = x[part] @ x[leaders[heads]].T
+            roots = uf.roots()
+            hit = s >= reach[heads][None, :]
+            if np.count_nonzero(hit) > hit.size // 20:  # within a large component most pairs are joined already
+                hit &= roots[part][:, None] != roots[leaders[heads]][None, :]
+            r, c = np.nonzero(hit)
+            sure, apart = s[r, c] >= t, roots[part[r]] != roots[leaders[heads[c]]]
+            while (sure & apart).any():  # a partner for every row and every leader that has one, until all are joined
+                new = np.nonzero(sure & apart)[0]
+                for e in np.union1d(new[np.unique(r[new], return_index=True)[1]], new[np.unique(c[new], return_index=True)[1]]):
+                    uf.union(int(part[r[e]]), int(leaders[heads[c[e]]]))
+                roots = uf.roots()
+                apart = roots[part[r]] != roots[leaders[heads[c]]]
+            if exact:
+                keep = apart & ~sure & (count[heads[c]] > 1)  # a leader alone is compared above
+                pending.append((part[r[keep]], heads[c[keep]]))
+                size += int(keep.sum())
+                if size > 2_000_000:
+                    through(pending)
+                    pending, size = [], 0
+        through(pending)
+
+    def through(pending: list) -> None:
+        if not pending:
+            return
+        r, c = np.concatenate([q[0] for q in pending]), np.concatenate([q[1] for q in pending])
+        o = np.argsort(c, kind="stable")
+        r, c = r[o], c[o]
+        for leader in np.unique(c):
+            members = order[start[leader] : start[leader + 1]]
+            roots = uf.roots()
+            asks = r[np.searchsorted(c, leader) : np.searchsorted(c, leader, side="right")]
+            asks = asks[roots[asks] != roots[members[0]]]
+            for a in range(0, len(asks), 2048):
+                for b in range(0, len(members), 8192):
+                    i, j = np.nonzero(x[asks[a : a + 2048]] @ x[members[b : b + 8192]].T >= t)
+                    if len(i):
+                        _, firsts = np.unique(uf.roots()[asks[a : a + 2048][i]], return_index=True)
+                        for f in firsts:
+                            uf.union(int(asks[a : a + 2048][i[f]]), int(members[b : b + 8192][j[f]]))
+
+    count = np.diff(start)
+    meet(leaders, np.arange(len(leaders)), exact=False)
+    # rows of a large component need not meet its own leaders
+    roots = uf.roots()
+    kinds, sizes = np.unique(roots, return_counts=True)
+    large = kinds[sizes >= 512]
+    for root in large:
+        meet(np.nonzero(roots == root)[0], np.nonzero(roots[leaders] != root)[0], exact=True)
+    meet(np.nonzero(~np.isin(roots, large))[0], np.arange(len(leaders)), exact=True)
     return uf.roots()
 
 
