@@ -273,6 +273,8 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
             hit = s >= reach[heads][None, :]
             if np.count_nonzero(hit) > hit.size // 20:  # within a large component most pairs are joined already
                 hit &= roots[part][:, None] != roots[leaders[heads]][None, :]
+            if not hit.any():
+                continue
             r, c = np.nonzero(hit)
             sure, apart = s[r, c] >= t, roots[part[r]] != roots[leaders[heads[c]]]
             while (sure & apart).any():  # a partner for every row and every leader that has one, until all are joined
@@ -303,8 +305,9 @@ def _link(x: np.ndarray, hub: np.ndarray, t: float, tight: float = 0.93) -> np.n
             asks = asks[roots[asks] != roots[members[0]]]
             for a in range(0, len(asks), 2048):
                 for b in range(0, len(members), 8192):
-                    i, j = np.nonzero(x[asks[a : a + 2048]] @ x[members[b : b + 8192]].T >= t)
-                    if len(i):
+                    near = x[asks[a : a + 2048]] @ x[members[b : b + 8192]].T >= t
+                    if near.any():  # mostly not, and cheaper to ask than to list
+                        i, j = np.nonzero(near)
                         _, firsts = np.unique(uf.roots()[asks[a : a + 2048][i]], return_index=True)
                         for f in firsts:
                             uf.union(int(asks[a : a + 2048][i[f]]), int(members[b : b + 8192][j[f]]))
