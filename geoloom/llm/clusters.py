@@ -336,7 +336,7 @@ def linked_groups(
     of which a share of about 1/sqrt(dim) lies along any one line, and a group is held together by many links. Within a
     cluster links are found exactly. Rows close to a heavy leaf's mean (half the linking angle) are linked with one
     another for sure; they are one vertex, never compared among themselves. Clusters beyond `block` rows are tiled;
-    tiles of one heavy leaf meet only the other rows. Groups that reach over clusters are joined through shared rows.
+    tiles of one heavy leaf meet only the other rows, or stay alone where there are none. Groups that reach over clusters are joined through shared rows.
     Unusable vectors and null ids take no part; equal vectors and repeated ids are in one group.
     """
     n = df.count()
@@ -376,7 +376,8 @@ def linked_groups(
     for c, by in counts.items():
         if sum(by.values()) > block:
             parts = [(h, i, -(-v // (block // 2))) for h, v in sorted(by.items()) for i in range(-(-v // (block // 2)))]
-            pairs = [(a, b) for a in range(len(parts)) for b in range(a, len(parts)) if (a == b and (parts[a][0] < 0 or len(parts) == 1)) or (a != b and (parts[a][0] != parts[b][0] or parts[a][0] < 0))]
+            alone = len(by) == 1  # slices of one heavy leaf only: nothing to compare, but their rows belong to its group
+            pairs = [(a, b) for a in range(len(parts)) for b in range(a, len(parts)) if (a == b and (parts[a][0] < 0 or alone)) or (a != b and (parts[a][0] != parts[b][0] or parts[a][0] < 0))]
             tiles[c] = (parts, pairs)
 
     def spread(batches):
@@ -404,7 +405,7 @@ def linked_groups(
         size = np.bincount(comp, minlength=len(ids))
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, comp, ids)
-        m = size[comp] > 1
+        m = (size[comp] > 1) | (hub >= 0)  # a heavy leaf's row alone here is linked to the leaf's rows elsewhere
         out_ids, out_rep = ids[m], least[comp[m]]
         return pa.table({"id": pa.array(out_ids, pa.int64()), "rep": pa.array(out_rep, pa.int64()), "hub": pa.array(hub[m].astype(np.int32))})
 

@@ -110,6 +110,16 @@ def test_groups_equal_single_linkage(spark, kw):
     assert got == want
 
 
+@pytest.mark.parametrize("noise", [0, 0.01])
+@pytest.mark.parametrize("more", [0, 30])
+def test_group_of_one_heavy_leaf_beyond_a_block(spark, noise, more):
+    r = np.random.default_rng(8)
+    x = np.repeat(np.eye(16)[:1], 201, axis=0) + r.normal(size=(201, 16)) * noise
+    y = np.repeat(-np.eye(16)[1:2], more, axis=0)
+    got = clusters.linked_groups(frame(spark, np.concatenate((x, y))), dim=16, block=50).collect()
+    assert sorted((r.id, r.group_id, r.group_size) for r in got) == [(i, 0, 201) for i in range(201)] + [(201 + i, 201, more) for i in range(more)]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 10_000), st.floats(0.5, 0.95), st.booleans())
 def test_linkage_in_memory_is_exact(seed, t, hubs):
