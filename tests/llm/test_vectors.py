@@ -60,6 +60,12 @@ def test_queries_only_recall(spark):
     assert len(got & true) >= 0.9 * len(true) and {i % 10 for i, _ in got} == {0}
 
 
+def test_queries_find_the_same_at_any_size(spark):
+    x = clumps(2, [50, 20], loose=400)
+    one, many = ({(r.id, r.neighbour_id) for r in neighbours.similar_vectors(frame(spark, x), 10, queries=F.col("id") % 10 == 0, dim=16, tables=2, margin=None, ranks=10, **kw).collect()} for kw in ({}, {"target_bucket": 1}))
+    assert one == many
+
+
 def test_copies_and_scaled_copies_are_neighbours(spark):
     x = np.repeat(np.eye(16)[:1], 9, axis=0) * np.array([1, 2, 3, 250, 1e-6, 1, 1, 1, 1])[:, None]
     got = neighbours.similar_vectors(frame(spark, x), 3, 0.95, dim=16).collect()
