@@ -53,6 +53,16 @@ def test_close_neighbours_recall(spark, kw):
     assert all(r.similarity >= 0.9 and r.id != r.neighbour_id and 1 <= r["rank"] <= 5 and r.id < 9000 for r in got)
 
 
+@pytest.mark.parametrize("kw", [{"target_bucket": 1}, {"brute": 0}, {"target_bucket": 1, "brute": 0}])
+def test_switches_by_size_keep_the_recall(spark, kw):
+    r = np.random.default_rng(9)
+    p, q = unit(r.normal(size=(4000, 64))), r.normal(size=(4000, 64))
+    q = unit(q - (q * p).sum(axis=1, keepdims=True) * p)
+    x = np.concatenate((p, 0.956 * p + np.sqrt(1 - 0.956**2) * q))  # pairs that are barely similar enough
+    got = {(r.id, r.neighbour_id) for r in neighbours.similar_vectors(frame(spark, x), 5, 0.95, **kw).collect()}
+    assert len(got & {(i, i + 4000) for i in range(4000)}) >= 0.99 * 4000
+
+
 def test_queries_only_recall(spark):
     x = clumps(2, [50, 20], loose=400)
     got = {(r.id, r.neighbour_id) for r in neighbours.similar_vectors(frame(spark, x), 10, queries=F.col("id") % 10 == 0, dim=16, tables=2, margin=None, ranks=16).collect()}
