@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions import vec
+
 
 def training_size(n: int) -> int:
     """Rows to train on: a tenth, but at least two million (or all)."""
@@ -21,11 +23,20 @@ def _matrix(batch: pa.RecordBatch, col: int, dim: int) -> tuple[np.ndarray, np.n
     return batch.column(0).filter(ok).to_numpy(zero_copy_only=False), v.filter(ok).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Number of the nearest centroid of every row."""
+    if x.shape[1] == 1:  # on a line, between midpoints
+        o = np.argsort(c[:, 0], kind="stable")
+        s = c[o, 0]
+        return o[np.searchsorted((s[1:] + s[:-1]) / 2, x[:, 0])]
+    return (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+
+
 def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        a = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+        a = _nearest(x, c)
         s, n = np.zeros_like(c), np.bincount(a, minlength=len(c))
         np.add.at(s, a, x)
         c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
@@ -48,7 +59,7 @@ def train_ivf_pq(df: DataFrame, nlist: int, m: int, nbits: int = 8, dim: int = 6
         raise ValueError("no vectors to train on")
     x = np.stack(rows.to_numpy()).astype(np.float32)
     coarse = _lloyd(x, nlist, seed)
-    rest = x - coarse[(x @ coarse.T - 0.5 * (coarse * coarse).sum(axis=1)).argmax(axis=1)]
+    rest = x - coarse[_nearest(x, coarse)]
     w = dim // m
     books = np.stack([_pad(_lloyd(rest[:, j * w : (j + 1) * w], 1 << nbits, seed + j), 1 << nbits) for j in range(m)])
     return IvfPq(coarse, books)
@@ -67,9 +78,9 @@ def encode(df: DataFrame, model: IvfPq, dim: int = 64, vector: str = "embedding"
         for b in batches:
             ids, x = _matrix(b, 1, dim)
             if len(ids):
-                cell = (x @ coarse.T - 0.5 * (coarse * coarse).sum(axis=1)).argmax(axis=1)
+                cell = _nearest(x, coarse)
                 r = x - coarse[cell]
-                code = np.stack([(r[:, j * w : (j + 1) * w] @ books[j].T - 0.5 * (books[j] ** 2).sum(axis=1)).argmax(axis=1) for j in range(m)], axis=1).astype(np.int16)
+                code = np.stack([_nearest(r[:, j * w : (j + 1) * w], books[j]) for j in range(m)], axis=1).astype(np.int16)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell.astype(np.int32)), pa.array(list(code), pa.list_(pa.int16()))], names=["id", "cell", "code"])
 
     return df.select("id", F.col(vector).alias("v")).mapInArrow(go, "id bigint, cell int, code array<smallint>")
@@ -99,3 +110,9 @@ def search(lists: DataFrame, model: IvfPq, query: np.ndarray, k: int, nprobe: in
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(out[keep])], names=["id", "distance"])
 
     return t.select("id", "cell", "code").mapInArrow(go, "id bigint, distance double").orderBy("distance", "id").limit(k)
+
+
+def reranked(found: DataFrame, df: DataFrame, query: np.ndarray, k: int, vector: str = "embedding") -> DataFrame:
+    """(id, distance): the k rows of `df` nearest by exact squared distance among those whose id search() `found`."""
+    near = df.join(F.broadcast(found.select("id").distinct()), "id", "left_semi")  # as many ids as search() was asked for
+    return near.select("id", vec.l2_squared(F.col(vector), vec.literal(query)).alias("distance")).orderBy("distance", "id").limit(k)

@@ -146,11 +146,11 @@ def mean_by_label(spark, sf):
 
 @query
 def ivf_pq_search(spark, sf):
-    """The 100 tiles nearest to the first by asymmetric distances over all cells."""
+    """The 100 tiles nearest to the first: 400 by asymmetric distances over all cells, reranked by exact distances."""
     g = stored(spark, sf)
-    model = ann.train_ivf_pq(g, 64, 16, 6)
-    lists = ann.encode(g, model)
-    return ann.search(lists, model, first_vector(g).first()["q"], 100).select("id", r6("distance").alias("distance"))
+    model, q = ann.train_ivf_pq(g, 64, 64, 8), first_vector(g).first()["q"]
+    found = ann.search(ann.encode(g, model), model, q, 400)
+    return ann.reranked(found, g, q, 100).select("id", r6("distance").alias("distance"))
 
 
 # lookups, joins, unions ----------------------------------------------------------------------------------------------

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import vec
 from geoloom.operators import ann, labels, learning, raster, search, spatial, tiles
+from geoloom.plans import core_queries
 from geoloom.sources import catalog, geojson
 from geoloom.streaming import label_stream
+from tests.conftest import CHECKED
 
 
 def test_query_vector_without_negatives_doubles_the_mean(spark):
@@ -124,6 +126,15 @@ def test_product_quantised_search_recall(spark):
     assert ann.training_size(5_000_000) == 2_000_000 and ann.training_size(100) == 100
 
 
+def test_registered_index_search_recall(spark):
+    g = {r.id: np.array(r.embedding, float) for r in core_queries.stored(spark, CHECKED).select("id", "embedding").collect()}
+    q = g[min(g)]
+    true = sorted(g, key=lambda i: (((g[i] - q) ** 2).sum(), i))[:100]
+    got = core_queries.ivf_pq_search(spark, CHECKED).collect()
+    assert len(got) == 100 and len({r.id for r in got} & set(true)) >= 95
+    assert all(abs(r.distance - ((g[r.id] - q) ** 2).sum()) < 1e-4 for r in got)
+
+
 def test_union_of_touching_squares(spark):
     b = [(1, 0.0, 0.0, 1.0, 1.0), (2, 1.0, 0.5, 2.0, 1.5), (3, 5.0, 5.0, 6.0, 6.0)]
     got = tiles.union_components(spark.createDataFrame(b, "id bigint, x0 double, y0 double, x1 double, y1 double"), 0.7)
