@@ -487,7 +487,7 @@ def cv_mean_std(spark, sf):
 @query
 def gbt_detections(spark, sf):
     """Train on labels 0 and 1, score every tile, keep what reaches the threshold."""
-    model = learning.fit_boosted_trees(examples(spark, sf), trees=10, depth=3)
+    model = learning.fit_boosted_trees(examples(spark, sf))
     return learning.score(model, geo(spark, sf), 0.5).select("id", "tile_id", r6("probability").alias("probability"))
 
 

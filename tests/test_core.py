@@ -10,7 +10,7 @@ from geoloom.operators import ann, labels, learning, raster, search, spatial, ti
 from geoloom.plans import core_queries
 from geoloom.sources import catalog, geojson
 from geoloom.streaming import label_stream
-from tests.conftest import CHECKED
+from tests.conftest import CHECKED, SMALL
 
 
 def test_query_vector_without_negatives_doubles_the_mean(spark):
@@ -113,6 +113,13 @@ def test_boosted_trees_separate_and_cross_validate(spark):
         learning.cross_validate(df.withColumn("fold", F.col("label")))
 
 
+def test_registered_boosted_trees_are_the_operators_default(spark, monkeypatch):
+    made, fit = [], learning.fit_boosted_trees
+    monkeypatch.setattr(learning, "fit_boosted_trees", lambda *a, **kw: made.append(fit(*a, **kw)) or made[-1])
+    assert core_queries.gbt_detections(spark, SMALL).count() > 0
+    assert made[0].getNumTrees == 100 and made[0].getMaxDepth() == 6
+
+
 def test_product_quantised_search_recall(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(2000, 16)).astype(np.float32)
