@@ -46,9 +46,20 @@ def mean_by(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return e.groupBy(*keys, "pos").agg(F.avg(_d(F.col("v"))).alias("mean"))
 
 
-def quantize_sq8(df: DataFrame, vector: str, id_col: str = "id") -> DataFrame:
-    """Per-dimension min/max scalar quantisation to 0..255: (id, pos, code)."""
-    e = df.select(id_col, F.posexplode(vector).alias("pos", "v")).withColumn("v", _d(F.col("v")))
-    r = e.groupBy("pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    code = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255 + 0.5)).otherwise(F.lit(0))
-    return e.join(r, "pos").select(id_col, "pos", code.cast("int").alias("code"))
+def ranges(df: DataFrame, vector: str, dim: int = 64) -> DataFrame:
+    """One row (lo, hi) of arrays: least and greatest value of each of the `dim` elements; vectors of other lengths don't count."""
+    fine = df.where(F.size(vector) == dim).select(F.col(vector).alias("v"))
+    lo, hi = ([f(F.get("v", F.lit(i))) for i in range(dim)] for f in (F.min, F.max))
+    return fine.agg(F.array(*lo).cast("array<double>").alias("lo"), F.array(*hi).cast("array<double>").alias("hi"))
+
+
+def quantize_sq8(df: DataFrame, vector: str, dim: int = 64, out: str = "codes") -> DataFrame:
+    """Add the scalar quantisation 0..255 of each element between its least and greatest value; null for other lengths.
+
+    One row stays one row: the ranges are a single row of 2 dim numbers, joined to all.
+    """
+    code = lambda v, i: F.when(
+        F.get("__r.hi", i) > F.get("__r.lo", i), F.floor((_d(v) - F.get("__r.lo", i)) / (F.get("__r.hi", i) - F.get("__r.lo", i)) * 255 + 0.5)
+    ).otherwise(F.lit(0)).cast("int")
+    r = ranges(df, vector, dim).select(F.struct("lo", "hi").alias("__r"))
+    return df.crossJoin(F.broadcast(r)).withColumn(out, F.when(F.size(vector) == dim, F.transform(vector, code))).drop("__r")  # one row

@@ -41,18 +41,30 @@ def since_reset(events: DataFrame, session: str, is_reset: Column, order: str =
     return events.join(reset, session).where(F.col("__reset").isNull() | (F.col(order) > F.col("__reset"))).drop("__reset")
 
 
-def dataset_rows(labels: DataFrame, tiles: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """Labelled tiles with embedding and class; a cached embedding (id, embedding) overrides the stored one."""
-    j = labels.join(tiles.select("id", "tile_id", "embedding", "lon", "lat"), "id")
+MANUAL = ("manual_pos", "manual_neg")
+REVIEWED = ("relabel_pos", "relabel_neg")
+
+
+def class_of(label: Column, names: tuple[str, str]) -> Column:
+    """The class name of a positive or negative label; null for other labels."""
+    return F.when(label == POSITIVE, F.lit(names[0])).when(label == NEGATIVE, F.lit(names[1]))
+
+
+def dataset_rows(labels: DataFrame, tiles: DataFrame, cached: DataFrame | None = None, names: tuple[str, str] = MANUAL) -> DataFrame:
+    """Labelled tiles (id, label) with the stored columns of `tiles` and class; a cached embedding (id, embedding) overrides the stored one.
+
+    Labels without a stored tile, and erased or null labels, are left out. Repeated label rows repeat the tile.
+    """
+    j = labels.where(F.col("label").isin(POSITIVE, NEGATIVE)).select("id", "label").join(tiles, "id")
     if cached is not None:
         j = j.join(cached.select("id", F.col("embedding").alias("__cached")), "id", "left").withColumn("embedding", F.coalesce("__cached", "embedding")).drop("__cached")
-    return j.withColumn("class", F.when(F.col("label") == POSITIVE, F.lit("geovibes_pos")).otherwise(F.lit("geovibes_neg")))
+    return j.withColumn("class", class_of(F.col("label"), names))
 
 
-def augmented(manual: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Manual labels and detection reviews in one table; reviews are relabel_pos / relabel_neg from detection_review."""
-    m = manual.select("tile_id", "label", F.when(F.col("label") == POSITIVE, F.lit("geovibes_pos")).otherwise(F.lit("geovibes_neg")).alias("class"), F.lit("manual").alias("source"))
-    r = reviewed.select("tile_id", "label", F.when(F.col("label") == POSITIVE, F.lit("relabel_pos")).otherwise(F.lit("relabel_neg")).alias("class"), F.lit("detection_review").alias("source"))
+def augmented(manual: DataFrame, reviewed: DataFrame, names: tuple[str, str] = MANUAL, review_names: tuple[str, str] = REVIEWED) -> DataFrame:
+    """Manual labels and detection reviews (tile_id, label) in one table with class and source (manual, detection_review)."""
+    m = manual.select("tile_id", "label", class_of(F.col("label"), names).alias("class"), F.lit("manual").alias("source"))
+    r = reviewed.select("tile_id", "label", class_of(F.col("label"), review_names).alias("class"), F.lit("detection_review").alias("source"))
     return m.unionByName(r)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.prefix import first_per_key, total_before
 from geoloom.operators.spatial import far_from
 
 
@@ -13,6 +14,11 @@ def hash_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("_", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def hash_part(h: str) -> Column:
+    """The first three hex digits of a hash_order column as a number: 4,096 parts in the hash's order."""
+    return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+
+
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """The rows, with a failure at run time if any violates `ok` (null counts as a violation)."""
     return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
@@ -30,15 +36,19 @@ def missing_vectors(labels: DataFrame, tiles: DataFrame) -> DataFrame:
 
 def stratified_split(samples: DataFrame, fraction: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Add `part` (train/test): of each positive class max(1, floor(n f)); of each negative class the same number,
-    max(1, floor(f times the smallest negative class)), as far as the class reaches. Order is a seeded hash."""
-    w = Window.partitionBy("class", "label")
+    max(1, floor(f times the smallest negative class)), as far as the class reaches. Order is a seeded hash; rows of one
+    id stay together; rows without class are train. No class is sorted whole: the last test row of each class is found
+    by counts per hash prefix, and every row compares itself with it."""
     n = samples.groupBy("class", "label").agg(F.count("*").alias("n"))
     least = n.where("label = 0").agg(F.min("n").alias("least"))  # one row
     n = n.crossJoin(F.broadcast(least))
     take = F.when(F.col("label") == 1, F.greatest(F.lit(1), F.floor(F.col("n") * fraction))).otherwise(F.greatest(F.lit(1), F.floor(F.col("least") * fraction)))
-    s = samples.join(F.broadcast(n.select("class", "label", take.alias("take"))), ["class", "label"])  # one row per class
-    r = F.row_number().over(w.orderBy(hash_order(seed, id_col), id_col))
-    return s.withColumn("part", F.when(r <= F.col("take"), F.lit("test")).otherwise(F.lit("train"))).drop("take")
+    n = F.broadcast(n.select("class", "label", take.alias("__take")))  # one row per class
+    s = samples.select("class", "label", F.col(id_col).alias("__id"), hash_order(seed, id_col).alias("__h"))
+    test = first_per_key(s.join(n, ["class", "label"]), ["class", "label"], "__take", hash_part("__h"), [F.col("__h"), F.col("__id")])
+    edge = F.broadcast(test.groupBy("class", "label").agg(F.max(F.struct("__h", "__id")).alias("__edge")))  # one row per class
+    key = F.struct(hash_order(seed, id_col).alias("__h"), F.col(id_col).alias("__id"))
+    return samples.join(edge, ["class", "label"], "left").withColumn("part", F.when(key <= F.col("__edge"), F.lit("test")).otherwise(F.lit("train"))).drop("__edge")
 
 
 def random_negatives(tiles: DataFrame, positives: DataFrame, n: int, seed: int = 42, buffer_m: float | None = None) -> DataFrame:
@@ -81,11 +91,10 @@ def binary_metrics(df: DataFrame, label: str = "label", p: str = "probability",
 def roc_auc(df: DataFrame, label: str = "label", p: str = "probability") -> DataFrame:
     """Area under the ROC curve from average ranks, computed on one row per distinct score (null with one class).
 
-    Scores are first counted per value; the running count is a window over the distinct scores.
+    Scores are first counted per value; the running count goes over range partitions of the distinct scores.
     """
     s = df.groupBy(p).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("rank_sum", F.col("pos") * (before + (F.col("n") + 1) / 2))
+    s = total_before(s, "n", p).withColumn("rank_sum", F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2))
     a = s.agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     return a.select(F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 

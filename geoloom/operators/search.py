@@ -79,12 +79,15 @@ def color_fraction(d: Column, low: Column, high: Column, cutoff: Column | None =
     return F.when(high > low, plain).otherwise(F.lit(0.5))
 
 
-def probability_fraction(p: Column) -> Column:
-    """Min-max scaled probability over the table; missing counts as 0.5; 0.5 if all are equal."""
+def with_probability_fraction(df: DataFrame, p: str = "probability", out: str = "fraction") -> DataFrame:
+    """Add the min-max scaled probability over the table; missing counts as 0.5; 0.5 if all are equal.
+
+    The range is one aggregated row, joined to all others; the table itself doesn't move.
+    """
     v = F.coalesce(p, F.lit(0.5))
-    w = Window.partitionBy()
-    lo, hi = F.min(v).over(w), F.max(v).over(w)
-    return F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.5))
+    r = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    scaled = F.when(F.col("__hi") > F.col("__lo"), (v - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(0.5))
+    return df.crossJoin(F.broadcast(r)).withColumn(out, scaled).drop("__lo", "__hi")  # one row
 
 
 def page(hits: DataFrame, number: int, first: int = 20, size: int = 50) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import ecef, geodetic_of, once, utm_conformal, utm_forward, utm_zone
 from geoloom.operators.graph import connected_components
 from geoloom.operators.near import near_pairs
+from geoloom.operators.prefix import row_numbers
+from geoloom.session import cut
 
 
 def nearest_point(tiles: DataFrame, lon: float, lat: float) -> DataFrame:
@@ -29,12 +31,13 @@ def nearest_tile_join(points: DataFrame, tiles: DataFrame, within_deg: float | N
 
     Points (pid, lon, lat) meet the tiles of their own and the adjacent cells of `within_deg` degrees (disk around the
     point); those without a tile are tried again with `retry_deg`. Unmatched points are absent. With
-    within_deg=None all tiles are compared, for small inputs. Ties go to the smaller tile_id.
+    within_deg=None the nearest tile on the ground is found however far it is (see nearest_join). Ties go to the
+    smaller tile_id.
     """
-    p = points.select("pid", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).where("p_lon is not null and p_lat is not null")
+    p = points.select("pid", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).where("pid is not null and p_lon is not null and p_lat is not null")
     t = tiles.where("lon is not null and lat is not null").select("tile_id", "lon", "lat")
     if within_deg is None:
-        return _closest(p.join(t))
+        return _with_utm_distance(nearest_join(points, tiles, "tile_id"))
     first = _closest(_cell_join(p, t, within_deg))
     if retry_deg is None:
         return first
@@ -42,6 +45,68 @@ def nearest_tile_join(points: DataFrame, tiles: DataFrame, within_deg: float | N
     return first.unionByName(_closest(_cell_join(rest, t, retry_deg)))
 
 
+def _with_utm_distance(j: DataFrame) -> DataFrame:
+    d = _utm_distance(utm_zone(F.col("p_lon")), F.col("p_lat") < 0)
+    return j.withColumn("distance_m", d).select("pid", "tile_id", "distance_m")
+
+
+RINGS_M = (1_000.0, 16_000.0, 256_000.0)
+
+
+def nearest_join(points: DataFrame, tiles: DataFrame, tie: str, *keep: str, rings: tuple[float, ...] = RINGS_M) -> DataFrame:
+    """(pid, p_lon, p_lat, chord_m, tie, keep..., lon, lat): each point's nearest tile on the ground, however far.
+
+    Rings of growing radius: a point meets the tiles of the cells its ring covers and is done once its best lies within
+    the ring. From the second ring on, points first meet the *occupied cells* of the ring before; bounds on the
+    distance to a cell leave the few whose tiles can be nearest. Beyond the last ring all occupied cells of its size
+    are compared (the globe has fewer than 20,000 of them), so no join multiplies points by tiles. Distances are
+    straight through the earth, rounded to a micrometre; ties go to the smaller `tie`. Rows without location or pid
+    take no part.
+    """
+    p = points.select("pid", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat")).where("pid is not null and p_lon is not null and p_lat is not null")
+    t = tiles.where("lon is not null and lat is not null").select(*dict.fromkeys((tie, *keep, "lon", "lat")))
+    chosen = F.min(F.struct("chord_m", *[c for c in t.columns])).alias("m")
+    found = None
+    for i, r in enumerate((*rings, None)):
+        if i == 0:
+            j = _latlon_cells(t, r / 110_000.0, r).join(_latlon_probes(p, r / 110_000.0, r), ["b", "c"])
+        else:
+            j = _through_cells(p, t, rings[i - 1], r)
+        j = j.withColumn("chord_m", F.round(F.sqrt(_chord2()), 6))
+        best = cut((j if r is None else j.where(F.col("chord_m") <= r)).groupBy("pid", "p_lon", "p_lat").agg(chosen))
+        found = best if found is None else found.unionByName(best)
+        p = p.join(best.select("pid"), "pid", "left_anti")
+        if r is None or p.isEmpty():
+            break
+    return found.select("pid", "p_lon", "p_lat", "m.*")
+
+
+def _chord2() -> Column:
+    a, b = ecef(F.col("p_lon"), F.col("p_lat")), ecef(F.col("lon"), F.col("lat"))
+    return sum((x - y) * (x - y) for x, y in zip(a, b))
+
+
+def _through_cells(p: DataFrame, t: DataFrame, fine: float, coarse: float | None) -> DataFrame:
+    """Points with the tiles of those occupied cells of size `fine` that can hold their nearest tile."""
+    h = fine / 110_000.0
+    tiles = _latlon_cells(t, h, fine).withColumnsRenamed({"b": "fb", "c": "fc"})
+    lat, n = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), (F.col("fb") + 0.5) * h)), _columns(F.col("fb"), h, fine)
+    cells = tiles.select("fb", "fc").distinct().withColumns({"lat": lat, "lon": (F.col("fc") + 0.5) / n * 360 - 180})
+    # a cell's centre is at most this far from its points: half its height and half its greatest width, the next band's at most
+    low = F.greatest(F.lit(0.0), F.least(F.abs(F.col("fb") * h), F.abs((F.col("fb") + 1) * h)) - 0.001)
+    reach = F.lit(h / 2 * 112_000.0) + 180 * 111_400.0 * F.cos(F.radians(F.least(F.lit(90.0), low))) / n
+    cells = cells.withColumn("reach", F.least(reach, F.lit(1.3e7)))
+    if coarse is None:
+        j = p.crossJoin(F.broadcast(cells))  # fewer than 20,000 cells: see nearest_join
+    else:
+        wide = coarse + 4 * fine
+        j = _latlon_cells(cells, wide / 110_000.0, wide).join(_latlon_probes(p, wide / 110_000.0, wide), ["b", "c"]).drop("b", "c")
+    j = j.withColumn("d", F.sqrt(_chord2())).select("pid", "p_lon", "p_lat", "fb", "fc", (F.col("d") - F.col("reach")).alias("least"), (F.col("d") + F.col("reach")).alias("most"))
+    bound = j.groupBy("pid").agg(F.min("most").alias("bound"))
+    can = j.join(bound, "pid").where("least <= bound").select("pid", "p_lon", "p_lat", "fb", "fc")
+    return can.join(tiles, ["fb", "fc"]).drop("fb", "fc")
+
+
 def _cell_join(p: DataFrame, t: DataFrame, r: float) -> DataFrame:
     cx, cy = F.floor(F.col("p_lon") / r), F.floor(F.col("p_lat") / r)
     cells = F.array(*[F.struct((cx + i).alias("x"), (cy + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -95,38 +160,59 @@ def clusters_of(points: DataFrame, buffer_m: float, id_col: str = "id") -> DataF
     return connected_components(e.unionByName(own.select("u", F.col("u").alias("v")))).select(F.col("vertex").alias("id"), F.col("component").alias("cluster"))
 
 
-def greedy_folds(clusters: DataFrame, folds: int) -> DataFrame:
-    """(cluster, n, fold): clusters from large to small (smallest id first on ties), each to the lightest fold so far.
+def _deals(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, order): ranks first..last-1 among the clusters of a size go around the folds of `order`.
 
-    The greedy rule is sequential; it runs over one row per cluster inside a single aggregate.
+    The greedy rule for equal sizes is a sequence of round-robin phases: folds less than one size above the lightest
+    take turns, in order of load, until the next fold is as light as they are.
     """
-    c = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col("n").desc(), "cluster")
-    c = c.withColumn("r", F.row_number().over(w))
-    ordered = c.agg(F.array_sort(F.collect_list(F.struct("r", "cluster", "n"))).alias("l"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), folds).alias("load"), F.array().cast("array<int>").alias("fold"))
+    load, out = [0] * folds, []
+    for n, m in sizes:
+        at = 0
+        while at < m:
+            by = sorted(range(folds), key=lambda f: (load[f], f))
+            turn = [f for f in by if load[f] < load[by[0]] + n]
+            rest = [load[f] for f in by if load[f] >= load[by[0]] + n]
+            left = m - at
+            rounds = (min(rest) - load[turn[-1]] - 1) // n + 1 if rest else left // len(turn)
+            take = min(left, rounds * len(turn)) if rounds else left
+            out.append((n, at, at + take, turn))
+            for i, f in enumerate(turn):
+                load[f] += n * ((take - i + len(turn) - 1) // len(turn))
+            at += take
+    return out
 
-    def give(acc, x):
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda v, i: F.when(i + 1 == at, v + x["n"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(acc["fold"], F.array(at - 1)).alias("fold"))
 
-    dealt = ordered.select("l", F.aggregate("l", start, give, lambda acc: acc["fold"]).alias("f"))
-    z = dealt.select(F.explode(F.arrays_zip("l", "f")).alias("z"))
-    return z.select("z.l.cluster", "z.l.n", F.col("z.f").alias("fold"))
+def greedy_folds(clusters: DataFrame, folds: int) -> DataFrame:
+    """(cluster, n, fold): clusters from large to small (smallest id first on ties), each to the lightest fold so far.
+
+    The rule is sequential, but clusters of one size follow a few round-robin phases. Only the number of clusters per
+    size comes to the driver (with N rows there are fewer than sqrt(2 N) different sizes); clusters are ranked over
+    range partitions and look their fold up.
+    """
+    c = cut(clusters.groupBy("cluster").agg(F.count("*").alias("n")))
+    sizes = [(r["n"], r["m"]) for r in c.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.col("n").desc()).collect()]
+    starts, total = {}, 0
+    for n, m in sizes:
+        starts[n], total = total, total + m
+    rows = [(n, starts[n] + a, starts[n] + b, order) for n, a, b, order in _deals(sizes, folds)]
+    deals = clusters.sparkSession.createDataFrame(rows, "n bigint, first bigint, last bigint, turn array<int>")
+    ranked = row_numbers(c, F.col("n").desc(), F.col("cluster"), name="r").withColumn("r", F.col("r") - 1)
+    j = ranked.join(F.broadcast(deals), "n").where("r >= first and r < last")  # at most `folds` rows per size
+    return j.select("cluster", "n", F.get("turn", ((F.col("r") - F.col("first")) % F.size("turn")).cast("int")).alias("fold"))
 
 
 def spatial_folds(samples: DataFrame, folds: int = 5, buffer_m: float = 500.0) -> DataFrame:
-    """(id, label, fold): positives fold by cluster, every negative follows its nearest positive (smallest id on ties)."""
-    pos = samples.where("label = 1").select("id", "lon", "lat")
+    """(id, label, fold): positives fold by cluster, every negative follows its nearest positive (smallest id on ties).
+
+    Samples without a location belong to no fold; without positives there are no rows.
+    """
+    pos = samples.where("label = 1 and lon is not null and lat is not null").select("id", "lon", "lat")
     cl = clusters_of(pos, buffer_m)
     cf = cl.join(greedy_folds(cl, folds).select("cluster", "fold"), "cluster").select("id", "fold")
-    neg = samples.where("label = 0").select(F.col("id").alias("nid"), F.col("lon").alias("nlon"), F.col("lat").alias("nlat"))
-    a, b = ecef(F.col("nlon"), F.col("nlat")), ecef(F.col("lon"), F.col("lat"))
-    d2 = sum((x - y) * (x - y) for x, y in zip(a, b))
-    near = neg.join(pos.join(cf, "id"))  # each negative with all positives: training sets, not tables
-    near = near.groupBy("nid").agg(F.min(F.struct(F.round(F.sqrt(d2), 6).alias("d"), F.col("id"), F.col("fold"))).alias("m"))
-    return cf.select("id", F.lit(1).alias("label"), "fold").unionByName(near.select(F.col("nid").alias("id"), F.lit(0).alias("label"), F.col("m.fold").alias("fold")))
+    neg = samples.where("label = 0").select(F.col("id").alias("pid"), "lon", "lat")
+    near = nearest_join(neg, pos, "id").select(F.col("pid").alias("nid"), "id").join(cf, "id")
+    return cf.select("id", F.lit(1).alias("label"), "fold").unionByName(near.select(F.col("nid").alias("id"), F.lit(0).alias("label"), "fold"))
 
 
 def tile_squares(df: DataFrame, half_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -126,7 +126,7 @@ def dissimilar_order(spark, sf):
 @query
 def probability_fraction(spark, sf):
     d = table(spark, sf, "detections").where("probability is null or probability between 0 and 1")
-    return d.select("detection_id", r6(search.probability_fraction(F.col("probability"))).alias("fraction"))
+    return search.with_probability_fraction(d.select("detection_id", "probability")).select("detection_id", r6("fraction").alias("fraction"))
 
 
 @query
@@ -136,7 +136,7 @@ def embedding_dims(spark, sf):
 
 @query
 def sq8_quantize(spark, sf):
-    return vec.quantize_sq8(geo(spark, sf), "embedding")
+    return vec.quantize_sq8(geo(spark, sf).select("id", "embedding"), "embedding").select("id", F.posexplode("codes").alias("pos", "code"))
 
 
 @query
@@ -246,8 +246,8 @@ def augmented_labels(spark, sf):
 
 @query
 def surrogate_key(spark, sf):
-    g = table(spark, sf, "geo_embeddings").select(F.col("id").alias("source_id"), F.col("scene_id"))
-    return catalog.surrogate_key(g, "source_id", name="row_no").select("source_id", "row_no")
+    g = table(spark, sf, "geo_embeddings").withColumnRenamed("id", "source_id")
+    return catalog.surrogate_key(g, "source_id", name="row_no").select("source_id", "scene_id", "geometry", "row_no")
 
 
 @query

@@ -140,10 +140,10 @@ ORACLE_SQL: dict[str, str] = {
     "label_counts": "select coalesce(source, 'manual') as source, count(*) as total, count(*) filter (where label = 1) as positives, count(*) filter (where label = 0) as negatives from labeled group by 1",
     "correction_weights": f"select dataset_id, sum(case when {CLASS} in ('relabel_pos', 'relabel_neg') then 3.0e0 else 1.0e0 end) as weight, count(*) as n from labeled where label in (0, 1) group by 1",
     "union_datasets": "select class, count(*) as n, count(label) as labelled, count(distinct id) as ids from (select id, label, coalesce(class, 'unknown') as class from labeled union all select cast(id as varchar), null, coalesce(class, 'unknown') from detections) group by 1",
-    "augmented_labels": """with u as (select 'manual' as source, label, case when label = 1 then 'geovibes_pos' else 'geovibes_neg' end as class from labeled where label in (0, 1)
+    "augmented_labels": """with u as (select 'manual' as source, label, case when label = 1 then 'manual_pos' else 'manual_neg' end as class from labeled where label in (0, 1)
       union all select 'detection_review', case when probability >= 0.5 then 1 else 0 end, case when probability >= 0.5 then 'relabel_pos' else 'relabel_neg' end from detections where probability between 0 and 1)
       select source, class, count(*) as total, count(*) filter (where label = 1) as positives, count(*) filter (where label = 0) as negatives from u group by 1, 2""",
-    "surrogate_key": "select id as source_id, row_number() over (order by id) as row_no from geo_embeddings",
+    "surrogate_key": "select id as source_id, scene_id, geometry, row_number() over (order by id) as row_no from geo_embeddings",
     "distinct_scenes": "select distinct coalesce(scene_id, '') as scene_id, coalesce(model_name, '') as model_name from geo_embeddings",
     "utm_project": f"with {GEO}, u as (select *, {_ZONE.format(lon='lon')} as zone from geo) select id, round({_E}, 3) as easting, round({_NO}, 3) as northing from u",
     "utm_zone_epsg": f"with {GEO} select id, {_ZONE.format(lon='lon')} as zone, 32600 + {_ZONE.format(lon='lon')} as epsg from geo",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions.names import region_key
+from geoloom.operators.prefix import row_numbers
 
 
 class IngestError(ValueError):
@@ -39,14 +40,8 @@ def display_id(df: DataFrame) -> Column:
 
 
 def surrogate_key(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """1..n in the given order without a global sort in one task: range partitions, counts, offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    with_part = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = with_part.groupBy("__p").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("__p", offset.alias("__o")))  # one row per partition
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return with_part.join(offsets, "__p").withColumn(name, (F.col("__o") + local).cast("bigint")).drop("__p", "__m", "__o")
+    """1..n in the given order without a global sort in one task; all columns stay."""
+    return row_numbers(df, *order, name=name)
 
 
 def ingest(df: DataFrame, dtype: str = "FLOAT", vector: str = "embedding") -> DataFrame:

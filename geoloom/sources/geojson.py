@@ -34,11 +34,32 @@ def point_features(rows: DataFrame, *properties: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), g.alias("geometry"))).alias("value"))
 
 
-def write_collection(features_text: DataFrame, path: str) -> None:
-    """Newline-delimited features, in parallel: every line is one feature of the collection."""
-    features_text.write.mode("overwrite").text(path)
+def write_collection(features_text: DataFrame, path: str, column: str = "value") -> None:
+    """Write feature texts in parallel: every part file is a whole FeatureCollection of its partition's features."""
 
+    def enclose(batches):
+        import pyarrow as pa
 
-def collection(features_text: DataFrame) -> DataFrame:
-    """One row with a FeatureCollection document, for exports small enough for one file."""
-    return features_text.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
+        last = None
+        yield pa.RecordBatch.from_arrays([pa.array(['{"type":"FeatureCollection","features":['])], names=["value"])
+        for b in batches:
+            rows = [r for r in b.column(0).to_pylist() if r is not None]
+            if rows:
+                rows, last = ([last] if last is not None else []) + rows[:-1], rows[-1]
+                yield pa.RecordBatch.from_arrays([pa.array([r + "," for r in rows], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([*([] if last is None else [last]), "]}"], pa.string())], names=["value"])
+
+    features_text.select(column).mapInArrow(enclose, "value string").write.mode("overwrite").text(path)
+
+
+def collection(features_text: DataFrame, metadata: Column | None = None, most_bytes: int = 256 << 20) -> DataFrame:
+    """One row with a FeatureCollection document (metadata, a struct over the aggregated rows, comes last).
+
+    A document is one value in one task, so the texts' total size is measured first; beyond `most_bytes` it is an
+    error: write_collection() writes exports of any size.
+    """
+    size = features_text.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("b")).first()["b"]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes are too many for one document; use write_collection")
+    end = F.lit("]}") if metadata is None else F.concat(F.lit('],"metadata":'), F.to_json(metadata), F.lit("}"))
+    return features_text.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), end).alias("value"))
