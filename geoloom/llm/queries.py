@@ -17,15 +17,26 @@ def p1_varied_subset(spark: SparkSession, sf: str) -> DataFrame:
     return subset.varied_subset(g, max(100, g.count() // 20))
 
 
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the combinations in the stored tiles and in the subset."""
+    g = table(spark, sf, "geo_embeddings")
+    return subset.coverage(g, max(100, g.count() // 20))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     r = proportions.sample_report(table(spark, sf, "labeled"), table(spark, sf, "target_mix"))
-    return r.where("gap > 0").select("plan_id", F.col("class"))
+    return r.where("unmet").select("plan_id", F.col("class"))
 
 
 def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return proportions.sample_plans(table(spark, sf, "labeled"), table(spark, sf, "target_mix"))
 
 
+def p2_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """What the samples hold of every class, source and label against the targets."""
+    return proportions.margin_report(table(spark, sf, "labeled"), table(spark, sf, "target_mix"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.linked_groups(table(spark, sf, "geo_embeddings")).select("id", "group_id")
 
@@ -78,7 +89,7 @@ def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.split_oversized(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_varied_subset, p2_found, p2_sample, p3_found, p3_clusters, p4_found, p4_search, p5_found, p5_splits, p7_found, p7_cleaned, p8_found, p8_mixed, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_varied_subset, p1_coverage, p2_found, p2_sample, p2_margins, p3_found, p3_clusters, p4_found, p4_search, p5_found, p5_splits, p7_found, p7_cleaned, p8_found, p8_mixed, p9_found, p9_pieces)}
 
 ORACLE_SQL = {
     "p2_found": """

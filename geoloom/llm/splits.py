@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import with_location
 from geoloom.functions.names import tile_key
-from geoloom.llm.prefix import running_total
 from geoloom.operators.graph import connected_components
 from geoloom.operators.near import cell_links, clique_cell
+from geoloom.operators.prefix import bucket_count, running_total
 from geoloom.session import cut
 
 
@@ -47,7 +47,7 @@ def related_groups(df: DataFrame, id_col: str = "id", tile_col: str = "tile_id",
     return grouped.unionByName(m.where("vertex is null").select("id", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size")))
 
 
-def grouped_splits(groups: DataFrame, shares: dict[str, float], seed: int = 17, large: float = 0.001, buckets: int = 1024) -> DataFrame:
+def grouped_splits(groups: DataFrame, shares: dict[str, float], seed: int = 17, large: float = 0.001) -> DataFrame:
     """(id, group_id, split): whole groups dealt to splits so that the rows have the given shares.
 
     Groups are laid out along a line, largest first where they hold at least `large` of all rows (at most 1/large
@@ -57,12 +57,13 @@ def grouped_splits(groups: DataFrame, shares: dict[str, float], seed: int = 17,
     total_share = sum(shares.values())
     if not shares or total_share <= 0 or min(shares.values()) < 0:
         raise ValueError("shares must be positive")
-    g = groups.groupBy("group_id").agg(F.count("*").alias("n"))
+    g = cut(groups.groupBy("group_id").agg(F.count("*").alias("n")))
+    buckets = bucket_count(g.count())
     total = g.agg(F.sum("n").alias("total"))
     g = g.crossJoin(F.broadcast(total))  # one row
     h = F.xxhash64("group_id", F.lit(seed))
     bucket = F.when(F.col("n") >= F.lit(large) * F.col("total"), F.lit(0)).otherwise(F.pmod(h, F.lit(buckets - 1)).cast("int") + 1)
-    g = running_total(g, [], bucket, [F.col("n").desc(), h, F.col("group_id")], "n", "before", buckets)
+    g = running_total(g, [], bucket, [F.col("n").desc(), h, F.col("group_id")], "n", "before")
     mid = (F.col("before") + F.col("n") / 2) / F.col("total")
     split, edge, names = F.lit(None).cast("string"), 0.0, list(shares)
     for name in names:

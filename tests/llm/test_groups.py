@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import prefix, proportions, splits
+from geoloom.llm import proportions, splits
+from geoloom.operators import prefix
 
 ROWS = "id bigint, tile_id string, geometry string, c string, u bigint"
 
@@ -55,7 +57,7 @@ def test_split_shares_and_bad_shares(spark):
 def test_running_total(spark):
     rows = [(k, i, i % 7) for k in ("a", "b", None) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, i int, w int")
-    got = prefix.running_total(df, ["k"], (F.col("i") / 10).cast("int"), [F.col("i")], "w", "before", 5).collect()
+    got = prefix.running_total(df, ["k"], (F.col("i") / 10).cast("int"), [F.col("i")], "w", "before").collect()
     assert len(got) == 150 and all(r.before == sum(j % 7 for j in range(r.i)) for r in got)
 
 
@@ -77,18 +79,48 @@ def test_latest_row_counts(spark):
 def test_sample_meets_targets_minimums_and_margins(spark):
     rnd = random.Random(1)
     rows = [("d", str(i), rnd.randrange(2), "big" if i < 900 else "rare" if i < 906 else "mid", rnd.choice(["m", "m", "m", "r"]), 0) for i in range(1000)]
-    mix = spark.createDataFrame([(1, "d", 100, "big", 0.6, 0), (1, "d", 100, "mid", 0.35, 0), (1, "d", 100, "rare", 0.05, 20), (2, "none", 10, "big", 1.0, 0), (3, "d", 10, "absent", 1.0, 2), (4, "d", 0, "big", 1.0, 0)], MIX)
+    mix = spark.createDataFrame([(1, "d", 100, "big", 0.6, 0), (1, "d", 100, "mid", 0.35, 0), (1, "d", 100, "rare", 0.05, 20), (2, "none", 10, "big", 1.0, 0), (3, "d", 10, "absent", 1.0, 2), (4, "d", 0, "big", 1.0, 0), (5, "d", 50, "big", 0.9, 0), (5, "d", 50, "mid", 0.1, 15), (6, "d", 4, "big", 0.5, 9), (6, "d", 4, "mid", 0.5, 0), (None, "d", 9, "big", 1.0, 0)], MIX)
     l = labeled(spark, rows)
     s = proportions.sample_plans(l, mix).collect()
     n = {}
     for r in s:
         n[(r.plan_id, r["class"])] = n.get((r.plan_id, r["class"]), 0) + 1
-    assert n == {(1, "big"): 60, (1, "mid"): 35, (1, "rare"): 6}
+    assert n == {(1, "big"): 59, (1, "mid"): 35, (1, "rare"): 6, (5, "big"): 35, (5, "mid"): 15, (6, "big"): 9}
     assert len({(r.plan_id, r.id) for r in s}) == len(s)
-    big = [r.source for r in s if r["class"] == "big"]
+    big = [r.source for r in s if r["class"] == "big" and r.plan_id == 1]
     assert 0.55 < big.count("m") / len(big) < 0.95  # the source margin keeps its share of three quarters
-    gap = {(r.plan_id, r["class"]): r.gap for r in proportions.sample_report(l, mix).where("gap > 0").collect()}
-    assert gap == {(1, "rare"): 14, (2, "big"): 10, (3, "absent"): 10}
-    plain = {(r.plan_id, r["class"]) for r in proportions.plan_report(l, mix).where("gap > 0").collect()}
-    assert plain == set(gap)
+    report = proportions.sample_report(l, mix)
+    assert {(r.plan_id, r["class"]): r.gap for r in report.where("unmet").collect()} == {(1, "rare"): 14, (2, "big"): 10, (3, "absent"): 10}
+    assert {(r.plan_id, r["class"]): r.gap for r in report.where("gap > 0 and not unmet").collect()} == {(1, "big"): 1, (5, "big"): 10, (6, "mid"): 2}
+    m = {(r.plan_id, r.margin, r.value): r for r in proportions.margin_report(l, mix).collect()}
+    assert m[1, "class", "big"].sampled == 59 and m[1, "class", "big"].gap == 0 and m[1, "class", "big"].converged
+    assert abs(m[1, "source", "m"].raked - m[1, "source", "m"].target) < 0.1 and m[1, "source", "m"].sampled + m[1, "source", "r"].sampled == 100
     assert proportions.sample_plans(l.limit(0), mix).count() == 0 and proportions.sample_plans(l, mix.limit(0)).count() == 0
+
+
+def test_bounds_change_nothing(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [("d", str(i), rnd.randrange(2), "big" if i < 2500 else "mid", rnd.choice("mr"), 0) for i in range(3000)]
+    mix = spark.createDataFrame([(p, "d", 40 + p, c, s, 0) for p in range(3) for c, s in (("big", 0.7), ("mid", 0.3))], MIX)
+    l = labeled(spark, rows)
+    key = lambda: sorted((r.plan_id, r.id, r.drawn) for r in proportions.sample_plans(l, mix).collect())
+    a = key()
+    assert any(d == "repair" for *_, d in a) or len(a) == 123
+    monkeypatch.setattr(proportions, "_bound", lambda n, weight, rows: float("inf"))
+    assert key() == a
+    monkeypatch.setattr(proportions, "_bound", lambda n, weight, rows: 1e-9)  # far too low: drawn again
+    assert key() == a
+
+
+@pytest.mark.parametrize("size, want", [(100, [59, 35, 6]), (10, [4, 0, 6]), (3, [0, 0, 6]), (0, [0, 0, 6])])
+def test_allotment(size, want):
+    got = proportions.allotted(np.array([900, 94, 6]), np.array([60, 35, 5]) if size == 100 else np.array([round(size * 0.6), 0, 0]), np.array([0, 0, 20]), size)
+    assert got.tolist() == want
+
+
+def test_raking_reports_contradictions():
+    n = np.array([5.0, 5.0])
+    w, _, ok = proportions.rake(n, [(np.array([0, 1]), np.array([5.0, 5.0])), (np.array([0, 0]), np.array([4.0]))])
+    assert w.sum() == pytest.approx(4) and ok
+    w, rounds, ok = proportions.rake(np.array([8.0, 1.0]), [(np.array([0, 1]), np.array([1.0, 1.0])), (np.array([0, 0]), np.array([6.0]))], rounds=50)
+    assert not ok and rounds == 50 or w.sum() < 6.1

@@ -181,11 +181,43 @@ def test_quotas_fit_supply_and_size(cells, size):
     assert sum(q.values()) == min(size, sum(counts.values())) and all(0 < n <= counts[k] for k, n in q.items())
 
 
-def test_quotas_are_balanced_and_flow_is_cheapest():
+def test_quotas_are_balanced():
     q = subset.quotas({(0, 0): 10_000, (1, 1): 100, (2, 2): 100, (3, 3): 5}, 100)
     assert q[(3, 3)] == 5 and max(q.values()) <= 36 and min(q[(i, i)] for i in range(3)) >= 25
-    flow, sent = subset.min_cost_flow(4, [(0, 1, 3, 1.0), (0, 2, 3, 4.0), (1, 3, 2, 0.0), (2, 3, 5, 0.0), (1, 2, 5, 1.0)], 0, 3, 5)
-    assert sent == 5 and flow == [3, 2, 2, 3, 1]
+
+
+def cost(flow, supply, size):
+    """The convex cost of a flow, unit by unit."""
+    def of(n, target, weight):
+        at, total = max(1, round(target)), 0.0
+        for share, price in (*subset.STRETCHES, (1e9, subset.BEYOND)):
+            step = max(1, round(target * share))
+            total += weight * price * min(max(0, n - at), step)
+            at += step
+        return total
+    cells = size / max(1, np.count_nonzero(supply))
+    return sum(of(n, size / len(flow), 1) for n in flow.sum(axis=1)) + sum(of(n, size / flow.shape[1], 1) for n in flow.sum(axis=0)) + sum(of(n, cells, 0.5) for n in flow.ravel())
+
+
+@given(st.integers(0, 10_000), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_no_exchange_makes_the_flow_cheaper(seed, size):
+    r = np.random.default_rng(seed)
+    supply = r.integers(0, 12, (3, 4))
+    supply[r.random((3, 4)) < 0.3] = 0
+    supply = supply[supply.sum(axis=1) > 0][:, supply.sum(axis=0) > 0]
+    if not supply.size:
+        return
+    size = min(size, int(supply.sum()))
+    f = subset.balanced_flow(supply, size)
+    assert f.sum() == size and (f >= 0).all() and (f <= supply).all()
+    best = cost(f, supply, size)
+    for a in np.argwhere(f > 0):
+        for b in np.argwhere(f < supply):
+            g = f.copy()
+            g[tuple(a)] -= 1
+            g[tuple(b)] += 1
+            assert cost(g, supply, size) >= best - 1e-9
 
 
 def test_large_group_does_not_crowd_out(spark):
@@ -195,6 +227,9 @@ def test_large_group_does_not_crowd_out(spark):
     assert len(ids) == len(set(ids)) == 100 and max(ids) < 9000
     assert sum(i < 900 for i in ids) < 60  # 90 % of the rows
     assert all(any(900 + 10 * g <= i < 910 + 10 * g for i in ids) for g in range(4))
-    again = subset.varied_subset(frame(spark, x).repartition(5), 100, kinds=8, textures=4, dim=16).collect()
+    again = subset.varied_subset(frame(spark, x, extra=BAD), 100, kinds=8, textures=4, dim=16).collect()
     assert sorted(ids) == sorted(r.id for r in again)
+    cover = subset.coverage(frame(spark, x, extra=BAD), 100, kinds=8, textures=4, dim=16).collect()
+    assert sum(r.rows for r in cover) == len(x) and sum(r.quota for r in cover) == 100
+    assert max(r.share_after for r in cover) < max(r.share_before for r in cover)
     assert subset.varied_subset(frame(spark, x[:7]), 100, dim=16).count() == 7
