@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.names import source_key
-from geoloom.llm.prefix import running_total
 from geoloom.llm.tokens import DEFAULT_VOCABULARY, token_counts
+from geoloom.operators.prefix import running_total
 from geoloom.session import cut
 
 
@@ -57,7 +57,7 @@ def mixed_documents(sized: DataFrame, plan: DataFrame, seed: int = 5, buckets: i
     out. With `ordered` rows are range-partitioned and sorted by mix and position.
     """
     h = F.xxhash64("doc_id", "source", F.lit(seed))
-    off = running_total(sized.where("tokens > 0"), ["source"], F.pmod(h, F.lit(buckets)).cast("int"), [h, F.col("doc_id")], "tokens", "offset", buckets)
+    off = running_total(sized.where("tokens > 0"), ["source"], F.pmod(h, F.lit(buckets)).cast("int"), [h, F.col("doc_id")], "tokens", "offset")
     p = plan.where("granted > 0").select("mix_id", F.col("source").alias("mix_source"), F.col("source_key").alias("source"), "source_tokens", "granted", "target_share", "total_ratio", "all_tokens", "slope", "demand")
     j = off.join(F.broadcast(p) if p.count() <= 10_000 else p, "source")
     passes = F.ceil((F.col("granted") - F.col("offset")) / F.col("source_tokens")).cast("int")
