@@ -2,8 +2,8 @@
 
 A pseudo-rotation (random signs and fast Hadamard transforms, three times) turns a unit vector; its bucket is the
 signed axis it lies nearest to. Every row lives in one bucket per table and looks for neighbours in further buckets
-whose axis is nearly as near (multiprobe). Rows meet in one shuffle per table; inside a bucket a second rotation
-splits the candidates again, in memory, and candidates are ranked by their exact cosine.
+whose axis is nearly as near (multiprobe). Rows meet in one shuffle per table; inside a bucket all are compared, and
+candidates are ranked by their exact cosine.
 """
 
 from __future__ import annotations
@@ -37,31 +37,6 @@ def _probes(v: np.ndarray, margin: float | None, ranks: int) -> tuple[np.ndarray
     return home, r, a
 
 
-def _levels(v1: np.ndarray, x: np.ndarray, seed: int, levels: int, margin: float | None, ranks: int):
-    """Bucket numbers for one table: one rotation, or two concatenated once buckets of one would be large (with a margin only)."""
-    home, r, a = _probes(v1, margin, ranks)
-    if levels == 1:
-        return home, r, a
-    v2 = axis_values(x, seed + 7919)
-    w = v2.shape[1]
-    home2, r2, a2 = _probes(v2, margin, ranks)
-    rows, codes = [r], [a * w + home2[r]]
-    rows.append(r2)
-    codes.append(home[r2] * w + a2)
-    order = np.argsort(r2, kind="stable")  # both levels probe elsewhere, if together within the margin
-    starts = np.searchsorted(r2[order], np.arange(len(x) + 1))
-    n2 = starts[r + 1] - starts[r]
-    i = np.repeat(np.arange(len(r)), n2)
-    j = order[np.repeat(starts[r], n2) + (np.arange(n2.sum()) - np.repeat(np.cumsum(n2) - n2, n2))] if len(i) else i
-    if len(i):
-        loss = lambda v, h, rr, aa: v[rr, h[rr]] - v[rr, aa]
-        near = loss(v1, home, r[i], a[i]) ** 2 + loss(v2, home2, r2[j], a2[j]) ** 2 <= margin**2
-        i, j = i[near], j[near]
-    rows.append(r[i])
-    codes.append(a[i] * w + a2[j])
-    return home * w + home2, np.concatenate(rows), np.concatenate(codes)
-
-
 def _top(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, k: int):
     """The k most similar columns per row, each column once; ties by column number."""
     o = np.lexsort((cols, -sims, rows))
@@ -75,6 +50,7 @@ def _top(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, k: int):
 
 
 _TIE = np.float32(5e-7)  # rounding of float32 dot products; exact similarities decide among the candidates
+_HELD = 1 << 21  # candidates a task gathers before it looks which are beaten
 
 
 def _dense(s: np.ndarray, k: int, floors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,40 +81,66 @@ def _dense(s: np.ndarray, k: int, floors: np.ndarray, rows: np.ndarray) -> tuple
     return r, c
 
 
-def _block(left: np.ndarray, right: np.ndarray, lno: np.ndarray, rno: np.ndarray, k: int, floors: np.ndarray, both: bool, out: list) -> None:
-    """Append candidates of left x right as row * rows + column: the best k of each left row, and of each right row if `both`."""
-    for a in range(0, len(lno), 1024):
-        part = lno[a : a + 1024]
-        for b in range(0, len(rno), 16384):
-            cols = rno[b : b + 16384]
-            s = left[part] @ right[cols].T
+class _Best:
+    """Candidates of one task as (row, column, float32 similarity); those that k better ones have beaten are dropped on the way."""
+
+    def __init__(self, rows: int, k: int, floor: float):
+        self.k, self.floors, self.limit = k, np.full(rows, floor - _TIE, np.float32), _HELD
+        self.parts, self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
+
+    def add(self, rows: np.ndarray, cols: np.ndarray, sims: np.ndarray) -> None:
+        self.parts.append((rows, cols, sims))
+        self.held += len(rows)
+        if self.held > self.limit:
+            self.pairs()
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column numbers, each pair once, of what may be among a row's k best; of many ties the first columns."""
+        n = len(self.floors)
+        r, c, s = (np.concatenate(p) for p in zip(*self.parts))
+        key, first = np.unique(r * n + c, return_index=True)
+        r, c, s = key // n, key % n, s[first]
+        starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
+        count = np.diff(np.append(starts, len(r)))
+        full = starts[count >= self.k]
+        kth = s[np.lexsort((-s, r))[full + self.k - 1]]
+        self.floors[r[full]] = np.maximum(self.floors[r[full]], kth - _TIE)
+        keep = s >= self.floors[r]
+        tie = keep & (s <= self.floors[r] + 2 * _TIE)
+        before = np.concatenate(([0], np.cumsum(tie)))
+        keep &= ~tie | (before[1:] - np.repeat(before[starts], count) <= 4 * self.k)
+        self.parts, self.held = [(r[keep], c[keep], s[keep])], np.count_nonzero(keep)
+        self.limit = max(_HELD, 2 * self.held)
+        return self.parts[0][:2]
+
+
+def _compare(x: np.ndarray, lno: np.ndarray, rno: np.ndarray, both: bool, best: _Best) -> None:
+    """Give `best` the candidates of all rows lno x rno: columns of each row, and rows of each column if `both`.
+
+    A block of similarities stays in the processor's cache; what its rows and columns have no use for is only read once.
+    """
+    right = x[rno]
+    for a in range(0, len(lno), 256):
+        part = lno[a : a + 256]
+        left = x[part]
+        for b in range(0, len(rno), 1024):
+            cols = rno[b : b + 1024]
+            s = left @ right[b : b + 1024].T
             at = np.minimum(np.searchsorted(cols, part), len(cols) - 1)
             own = np.nonzero(cols[at] == part)[0]
             s[own, at[own]] = -2  # a row isn't its own neighbour; cols is sorted
-            r, c = _dense(s, min(k, s.shape[1]), floors, part)
-            out.append(part[r] * len(left) + cols[c])
-            if both:
-                c, r = _dense(s.T, min(k, s.shape[0]), floors, cols)
-                out.append(cols[c] * len(left) + part[r])
-
-
-def _bucket_search(x: np.ndarray, ids: np.ndarray, home: np.ndarray, asks: np.ndarray, k: int, floor: float, both: bool, seed: int, margin: float | None, ranks: int, brute: int):
-    """(id, neighbour, similarity) within one bucket: rows with `asks` look among the rows with `home`."""
-    lno, rno, out = np.nonzero(asks)[0], np.nonzero(home)[0], []
-    floors = np.full(len(x), floor - _TIE, np.float32)
-    if len(lno) * len(rno) <= brute or margin is None:
-        _block(x, x, lno, rno, k, floors, both, out)
-    else:
-        v = axis_values(x, seed)
-        at, r, a = _probes(v, margin, ranks)
-        rows = np.concatenate((lno, r[asks[r]]))
-        axes = np.concatenate((at[lno], a[asks[r]]))
-        for axis in np.unique(at[rno]):
-            _block(x, x, rows[axes == axis], rno[at[rno] == axis], k, floors, both, out)
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key = np.unique(np.concatenate(out))
-    r, c = key // len(x), key % len(x)
+            for m, these, those in ((s, part, cols), (s.T, cols, part))[: 1 + both]:
+                i = np.flatnonzero(m.max(axis=1) >= best.floors[these])
+                if len(i):
+                    r, c = _dense(m[i], min(best.k, m.shape[1]), best.floors, these[i])
+                    best.add(these[i[r]], those[c], m[i[r], c])
+
+
+def _bucket_search(x: np.ndarray, ids: np.ndarray, home: np.ndarray, asks: np.ndarray, k: int, floor: float, both: bool):
+    """(id, neighbour, similarity) within one bucket: rows with `asks` look among all rows with `home`."""
+    best = _Best(len(x), k, floor)
+    _compare(x, np.nonzero(asks)[0], np.nonzero(home)[0], both, best)
+    r, c = best.pairs()
     keep = ids[r] != ids[c]
     r, c = r[keep], c[keep]
     sims = np.empty(len(r))
@@ -151,8 +153,8 @@ def _bucket_search(x: np.ndarray, ids: np.ndarray, home: np.ndarray, asks: np.nd
 
 def similar_vectors(
     df: DataFrame, k: int, min_similarity: float | None = None, queries: Column | None = None, id_col: str = "id", vector: str = "embedding",
-    dim: int = 64, tables: int = 1, margin: float | None = 0.07, ranks: int = 24, seed: int = 11, target_bucket: int = 65_536, tile: int = 65_536,
-    brute: int = 4_000_000,
+    dim: int = 64, tables: int = 1, margin: float | None = 0.07, ranks: int = 24, seed: int = 11, target_bucket: int | None = None, tile: int = 65_536,
+    brute: int | None = None,
 ) -> DataFrame:
     """(id, neighbour_id, similarity, rank): the up to k most similar rows of every usable row, or of the `queries`.
 
@@ -161,22 +163,17 @@ def similar_vectors(
     smaller id. A repeated id is never its own neighbour. Empty tables give no rows; other columns are ignored.
 
     With `min_similarity` only neighbours of at least that are given and buckets within `margin` of the nearest axis
-    are probed (1.3 margins with two levels, whose losses add up; 2 margins inside buckets of more than `brute` pairs,
-    which a further rotation splits: neither misses more than one level does); without it each query probes its `ranks` nearest axes (margin=None), the same share of the table at any
-    size. A table has 2d buckets, or with `min_similarity` their squares once a bucket would hold more than
-    `target_bucket` rows on average. Buckets beyond `tile` rows, such as
-    those of huge groups of near-equal vectors, are cut into tiles of rows against rows; nothing is dropped, and no
-    task holds more than two tiles. Every row is shuffled once per probe, as 4 bytes a value.
+    are probed; without it each query probes its `ranks` nearest axes (margin=None). A table has 2d buckets and all rows
+    that meet in one are compared, so whether two rows are compared depends on these two alone, never on the number or
+    kind of the others; the work grows with the square of the rows. Buckets beyond `tile` rows, such as those of huge
+    groups of near-equal vectors, are cut into tiles of rows against rows; nothing is dropped, and no task holds more
+    than two tiles. Every row is shuffled once per probe, as 4 bytes a value. `target_bucket` and `brute`, sizes from
+    which further rotations once thinned the comparisons, have no effect.
     """
     floor = -1.5 if min_similarity is None else min_similarity
     symmetric = queries is None
-    n = df.count()
-    width = 2 * (1 << max(1, (dim - 1).bit_length()))
-    levels = 2 if min_similarity is not None and n / width > target_bucket else 1
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), (F.lit(True) if symmetric else F.coalesce(queries, F.lit(False))).alias("q"))
-    # two rotations must both be met, and so must the one inside a bucket: wider margins there miss as few pairs as one alone
-    use_margin = None if min_similarity is None else margin if levels == 1 else margin * 1.3
-    inner_margin = None if min_similarity is None else margin * 2
+    use_margin = None if min_similarity is None else margin
 
     def coded(batches):
         for b in batches:
@@ -186,7 +183,7 @@ def similar_vectors(
             flags = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist())) if not symmetric else None
             asks = np.ones(len(ids), bool) if symmetric else np.array([flags[i] for i in ids.tolist()], bool)
             for t in range(tables):
-                home, r, a = _levels(axis_values(x, seed + 101 * t), x, seed + 101 * t, levels, use_margin, ranks)
+                home, r, a = _probes(axis_values(x, seed + 101 * t), use_margin, ranks)
                 keep = asks[r]
                 yield t, ids, x, asks, home, r[keep], a[keep]
 
@@ -201,7 +198,7 @@ def similar_vectors(
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([homes.get(c, 0) for c in keys], pa.int64()), pa.array([probes.get(c, 0) for c in keys], pa.int64())], names=["bucket", "homes", "probes"])
 
-    # at most tables x (2d)^levels rows of counts come back
+    # at most tables x 2d rows of counts come back
     sizes = src.mapInArrow(histogram, "bucket bigint, homes bigint, probes bigint").groupBy("bucket").agg(F.sum("homes").alias("homes"), F.sum("probes").alias("probes"))
     cuts = {r["bucket"]: (math.ceil(r["homes"] / tile), max(1, math.ceil((r["homes"] + r["probes"]) / (2 * tile)))) for r in sizes.where(F.col("homes") + F.col("probes") > 2 * tile).collect()}
 
@@ -246,7 +243,7 @@ def similar_vectors(
         ids, flag, x = tbl["id"].to_numpy(), tbl["flag"].to_numpy(), unpacked(tbl["v"], dim)
         o = np.argsort(ids, kind="stable")  # ties go to the smaller id
         ids, flag, x = ids[o], flag[o], x[o]
-        i, j, s = _bucket_search(x, ids, (flag & 1) > 0, (flag & 2) > 0, k, floor, symmetric, seed + 31337, inner_margin, ranks, brute)
+        i, j, s = _bucket_search(x, ids, (flag & 1) > 0, (flag & 2) > 0, k, floor, symmetric)
         if min_similarity is not None:
             ok = s >= min_similarity
             i, j, s = i[ok], j[ok], s[ok]

@@ -63,6 +63,41 @@ def test_switches_by_size_keep_the_recall(spark, kw):
     assert len(got & {(i, i + 4000) for i in range(4000)}) >= 0.99 * 4000
 
 
+def test_neighbours_do_not_depend_on_the_number_of_rows(spark):
+    r = np.random.default_rng(12)
+    axis = pseudo_rotation(np.eye(64, dtype=np.float32), 11)[:, 5]
+    p, q = unit(r.normal(size=(1200, 64))), r.normal(size=(1200, 64))
+    p = unit(0.6 * axis + 0.8 * p)  # all in one bucket
+    q = unit(q - (q * p).sum(axis=1, keepdims=True) * p)
+    q = 0.951 * p + np.sqrt(1 - 0.951**2) * q
+    find = lambda i: {(r.id, r.neighbour_id) for r in neighbours.similar_vectors(frame(spark, np.concatenate((p[i], q[i])), np.concatenate((i, i + 1200))), 5, 0.95, margin=0.02).collect()}
+    whole = find(np.arange(1200))
+    assert whole == set().union(*(find(np.arange(a, a + 600)) for a in (0, 600))) and len(whole) == 2400
+
+
+@pytest.mark.parametrize("floor, both", [(0.9, True), (-1.5, False)])
+def test_dropping_beaten_candidates_changes_nothing(monkeypatch, floor, both):
+    x = clumps(4, [1500, 300, 20], noise=0.06).astype(np.float32)
+    x[100:160] = x[99]  # copies: ties go to the smaller id
+    ids, asks = np.arange(len(x)) * 3, np.ones(len(x), bool) if both else np.arange(len(x)) % 10 == 0
+    home = np.arange(len(x)) % 7 > 0 if both else np.ones(len(x), bool)
+    s = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(s, -2)
+    want = {i: {int(j) for j in np.argsort(-np.round(s[i], 6) - 10 * home, kind="stable")[:5] if home[j] and s[i, j] >= floor} for i in np.flatnonzero(asks)}
+    monkeypatch.setattr(neighbours, "_HELD", 200)
+    i, j, sims = neighbours._bucket_search(x, ids, home, asks, 5, floor, False)
+    got = {(a // 3, b // 3) for a, b in zip(i.tolist(), j.tolist())}
+    true = {(a, b) for a, bs in want.items() for b in bs}
+    assert len(got) == len(true) and all(abs(np.sort([s[a, b] for b in bs])[0] - np.sort([s[a, b] for c, b in got if c == a])[0]) < 1e-6 for a, bs in want.items() if bs)
+    if home[:104].all():
+        assert {b for a, b in got if a == 130} == set(range(99, 104))
+    if both:  # a pair is found from either side
+        one = neighbours._bucket_search(x, ids, home, asks, 5, floor, True)
+        monkeypatch.setattr(neighbours, "_HELD", 1 << 30)
+        two = neighbours._bucket_search(x, ids, home, asks, 5, floor, True)
+        assert all((a == b).all() for a, b in zip(one[:2], two[:2]))
+
+
 def test_queries_only_recall(spark):
     x = clumps(2, [50, 20], loose=400)
     got = {(r.id, r.neighbour_id) for r in neighbours.similar_vectors(frame(spark, x), 10, queries=F.col("id") % 10 == 0, dim=16, tables=2, margin=None, ranks=16).collect()}
