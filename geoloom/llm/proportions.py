@@ -176,15 +176,17 @@ def sample_report(labeled: DataFrame, target_mix: DataFrame, seed: int = 17) ->
     """Every plan and class with target_rows, wanted_rows, what its sample holds, its share and what is missing.
 
     gap = wanted_rows - sampled where that is positive; `unmet` where it is because the class has no further rows:
-    the sample holds all that are available. Other gaps were given up for the minimums of other classes.
+    the sample holds all that are available. Other gaps were given up for the minimums of other classes. A row without
+    plan_id belongs to no sample: its gap is what its class lacks of wanted_rows.
     """
     counts = available_points(labeled).groupBy("dataset_id", "class").agg(F.count("*").alias("available"))
     s = sample_plans(labeled, target_mix, seed).groupBy("plan_id", "class").agg(F.count("*").alias("sampled"), F.count_if(F.col("drawn") == "repair").alias("repaired"))
     r = plan_targets(target_mix).join(s, ["plan_id", "class"], "left").join(counts, ["dataset_id", "class"], "left")
     r = r.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("sampled", "repaired", "available")})
     total = F.sum("sampled").over(Window.partitionBy("plan_id"))
-    r = r.withColumn("actual_share", F.col("sampled") / F.greatest(total, F.lit(1))).withColumn("gap", F.greatest(F.lit(0), F.col("wanted_rows") - F.col("sampled")))
-    return r.withColumn("unmet", (F.col("gap") > 0) & (F.col("sampled") >= F.col("available")))
+    held = F.when(F.col("plan_id").isNull(), F.col("available")).otherwise(F.col("sampled"))
+    r = r.withColumn("actual_share", F.col("sampled") / F.greatest(total, F.lit(1))).withColumn("gap", F.greatest(F.lit(0), F.col("wanted_rows") - held))
+    return r.withColumn("unmet", (F.col("gap") > 0) & (held >= F.col("available")))
 
 
 def margin_report(labeled: DataFrame, target_mix: DataFrame, seed: int = 17) -> DataFrame:

@@ -98,6 +98,13 @@ def test_sample_meets_targets_minimums_and_margins(spark):
     assert proportions.sample_plans(l.limit(0), mix).count() == 0 and proportions.sample_plans(l, mix.limit(0)).count() == 0
 
 
+def test_unmet_without_plan_id_as_in_the_sql(spark):
+    l = labeled(spark, [("d", str(i), 1, "big" if i < 9 else "rare", "m", 0) for i in range(12)])
+    mix = spark.createDataFrame([(None, "d", 9, "rare", 1.0, 0), (None, "d", 9, "big", 1.0, 0), (1, "d", 4, "rare", 1.0, 0), (None, "d", 3, "rare", 1.0, 0)], MIX)
+    got = sorted((r.plan_id or 0, r["class"], r.sampled, r.gap, r.unmet) for r in proportions.sample_report(l, mix).collect())
+    assert got == [(0, "big", 0, 0, False), (0, "rare", 0, 0, False), (0, "rare", 0, 6, True), (1, "rare", 3, 1, True)]
+
+
 def test_bounds_change_nothing(spark, monkeypatch):
     rnd = random.Random(3)
     rows = [("d", str(i), rnd.randrange(2), "big" if i < 2500 else "mid", rnd.choice("mr"), 0) for i in range(3000)]
